@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidebar.llm.langid import op3_langid
+from tidebar.llm.packing import op2_packing
 from tidebar.llm.quality import op1_quality
+from tidebar.llm.simhash import op9_simhash
 from tidebar.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_packing": op2_packing,
     "op3_langid": op3_langid,
     "op4_toxicity": op4_toxicity,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES: dict[str, str] = {}
