@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidebar.llm.langid import op3_langid
+from tidebar.llm.media import op5_media
 from tidebar.llm.packing import op2_packing
 from tidebar.llm.quality import op1_quality
+from tidebar.llm.sharding import op6_sharding
 from tidebar.llm.simhash import op9_simhash
 from tidebar.llm.toxicity import op4_toxicity
 
@@ -17,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_langid": op3_langid,
     "op4_toxicity": op4_toxicity,
+    "op5_media": op5_media,
+    "op6_sharding": op6_sharding,
     "op9_simhash": op9_simhash,
 }
 
