@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidebar.llm.embeddings import op8_embeddings
 from tidebar.llm.langid import op3_langid
 from tidebar.llm.media import op5_media
 from tidebar.llm.packing import op2_packing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_media": op5_media,
     "op6_sharding": op6_sharding,
+    "op8_embeddings": op8_embeddings,
     "op9_simhash": op9_simhash,
 }
 

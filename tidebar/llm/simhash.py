@@ -145,15 +145,16 @@ def near_pairs(home: np.ndarray, others: np.ndarray, radius: int):
         yield a, b + i
 
 
-def shard_links(home: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
-    """A spanning forest, as (n, 2) fingerprints, of all links within home and between home and queries."""
-    everyone = np.unique(np.concatenate([home, queries]))
-    parent = np.arange(len(everyone))
-    out: list[np.ndarray] = []
+class Forest:
+    """A spanning forest over sorted vertices, grown by arrays of links."""
 
-    def linked(a: np.ndarray, b: np.ndarray) -> None:
-        """Join the trees of a and b pair by pair, all pairs at once, and note the links that joined two."""
-        x, y = np.searchsorted(everyone, a), np.searchsorted(everyone, b)
+    def __init__(self, everyone: np.ndarray) -> None:
+        self.everyone, self.parent, self.out = everyone, np.arange(len(everyone)), []
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join the trees of a[i] and b[i], all at once, and note the links that joined two trees."""
+        parent = self.parent
+        x, y = np.searchsorted(self.everyone, a), np.searchsorted(self.everyone, b)
         while True:
             rx, ry = parent[x], parent[y]
             apart = np.flatnonzero(rx != ry)
@@ -163,13 +164,20 @@ def shard_links(home: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarra
             high, low = np.maximum(rx, ry), np.minimum(rx, ry)
             root, first = np.unique(high, return_index=True)
             parent[root] = low[first]  # each root is hung under one smaller root: no circle
-            out.append(np.stack([everyone[x[first]], everyone[y[first]]], 1))
+            self.out.append(np.stack([self.everyone[x[first]], self.everyone[y[first]]], 1))
             while True:
                 up = parent[parent]
                 if np.array_equal(up, parent):
                     break
                 parent[:] = up
 
+    def edges(self) -> np.ndarray:
+        return np.concatenate(self.out) if self.out else np.zeros((0, 2), self.everyone.dtype)
+
+
+def shard_links(home: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
+    """A spanning forest, as (n, 2) fingerprints, of all links within home and between home and queries."""
+    grown = Forest(np.unique(np.concatenate([home, queries])))
     todo = [(home, queries)]
     while todo:
         own, asked = todo.pop()
@@ -192,8 +200,8 @@ def shard_links(home: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarra
             continue
         for others in (own, asked):
             for a, b in near_pairs(own, others, radius):
-                linked(own[a], others[b])
-    return np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
+                grown.link(own[a], others[b])
+    return grown.edges()
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
