@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidebar.llm.embeddings import op8_embeddings
 from tidebar.llm.langid import op3_langid
+from tidebar.llm.linededup import op10_linededup
 from tidebar.llm.media import op5_media
 from tidebar.llm.packing import op2_packing
 from tidebar.llm.quality import op1_quality
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op8_embeddings": op8_embeddings,
     "op9_simhash": op9_simhash,
+    "op10_linededup": op10_linededup,
 }
 
 ORACLES: dict[str, str] = {}
