@@ -11,6 +11,7 @@ from tidebar.llm.langid import op3_langid
 from tidebar.llm.linededup import op10_linededup
 from tidebar.llm.media import op5_media
 from tidebar.llm.packing import op2_packing
+from tidebar.llm.pieces import op7_pieces
 from tidebar.llm.quality import op1_quality
 from tidebar.llm.sharding import op6_sharding
 from tidebar.llm.simhash import op9_simhash
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_media": op5_media,
     "op6_sharding": op6_sharding,
+    "op7_pieces": op7_pieces,
     "op8_embeddings": op8_embeddings,
     "op9_simhash": op9_simhash,
     "op10_linededup": op10_linededup,
