@@ -12,7 +12,10 @@ empty table gives an empty table; only the id and text columns are read, so othe
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -21,6 +24,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidebar.session import ship, written
 
@@ -35,27 +39,57 @@ NUMBERED = 100_000
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+# Fixed values of the tokenizer's own split, for lower-cased words of printable ASCII and composed Latin-1 letters.
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """What byte-level merges write for a Latin-1 letter: printable bytes stand for themselves, others for 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in printable]
+    letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
 class WordEncoder:
     """Token ids of texts, as little-endian unsigned 32-bit values. The tokenizer's merges never go over white space,
-    so the parts between blanks and line ends are encoded apart and kept."""
+    so the parts between blanks and line ends are encoded apart and kept. A plain word's split is done here and its
+    parts go to the tokenizer's model alone, which saves it the normalising of each new word."""
 
     def __init__(self, path: str) -> None:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _plain(self, word: str) -> bytes:
+        out = []
+        for part in _SPLIT.findall(word.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = array("I", [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.letters))]).tobytes()
+                self.parts[part] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
+        for kept in (known, self.parts):
+            if len(kept) > CACHED_WORDS:
+                kept.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = [w for w in set().union(*split) if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+        other = []
+        for w in new:
+            if _PLAIN.fullmatch(w) and "<|" not in w:
+                known[w] = self._plain(w)
+            else:
+                other.append(w)
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for w in new:
             if len(w) > 64:
