@@ -94,7 +94,8 @@ def within_edits(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
 
 
 def segment_keys(line: Column, threshold: int = THRESHOLD) -> tuple[list[Column], list[Column]]:
-    """Hashed keys under which a line is indexed, and those by which it probes for lines as long or shorter."""
+    """Hashed keys of a line in UTF-32, where a character has a fixed place: those under which it is indexed, by which it
+    also probes for lines of its own length, and those by which it only probes, for lines as long or shorter."""
     parts = threshold + 1
 
     def span(length: Column, i: int) -> tuple[Column, Column]:
@@ -104,9 +105,9 @@ def segment_keys(line: Column, threshold: int = THRESHOLD) -> tuple[list[Column]
         return start, base + F.when(F.lit(parts - i) <= more, 1).otherwise(0)
 
     def key(length: Column, i: int, start: Column, size: Column) -> Column:
-        return F.xxhash64(length, F.lit(i), F.substring(line, start, size))
+        return F.xxhash64(length, F.lit(i), F.substring(line, start * 4 - 3, size * 4))
 
-    own = F.length(line)
+    own = F.shiftright(F.length(line), 2)
     index = [key(own, i, *span(own, i)) for i in range(parts)]
     probe = []
     for shorter in range(threshold + 1):
@@ -114,7 +115,8 @@ def segment_keys(line: Column, threshold: int = THRESHOLD) -> tuple[list[Column]
         for i in range(parts):
             start, size = span(length, i)
             for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + threshold - i) + 1):
-                probe.append(key(length, i, start + shift, size))
+                if shorter or shift:
+                    probe.append(key(length, i, start + shift, size))
     return index, probe
 
 
@@ -138,22 +140,24 @@ def _identity() -> list[Column]:
 
 def near_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(h1, h2) of the lines that have an earlier, different line within the threshold."""
-    index, probe = segment_keys(F.col("line"), threshold)
+    index, probe = segment_keys(F.col("_utf32"), threshold)
     sides = F.array(*[F.struct(k.alias("key"), F.lit(False).alias("probes")) for k in index], *[F.struct(k.alias("key"), F.lit(True).alias("probes")) for k in probe])
-    keyed = lines.select("line", *_PLACE, F.explode(sides).alias("e")).select("e.key", "e.probes", "line", *_PLACE)
-    met = keyed.select("key", F.col("probes").cast("int").alias("probes"), F.xxhash64("line").alias("h")).groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("probes").alias("i"), F.max("probes").alias("p"))
-    shared = written(met.where("a <> b and i = 0 and p = 1").select("key"), "keys")
+    coded = lines.select("line", *_PLACE, F.encode("line", "UTF-32").alias("_utf32"), F.xxhash64("line").alias("h"))
+    keyed = coded.select("line", "h", *_PLACE, F.explode(sides).alias("e")).select("e.key", "e.probes", "line", "h", *_PLACE)
+    met = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("probes").alias("p"))
+    shared = written(met.where("a <> b and not p").select("key"), "keys")
     some = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
     held = written(keyed.join(some, "key").groupBy("key", "probes", "line").agg(F.min(_place()).alias("first")), "held")
     parts = held.groupBy("key", "probes").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
     salted = held.join(parts, ["key", "probes"]).withColumn("part", F.pmod(F.xxhash64("line", F.lit(7)), F.col("parts")).cast("int"))
     tiles = salted.groupBy("key", "probes", "part").agg(F.collect_list(F.struct("first", "line")).alias("own"))
-    tiles = tiles.where("not probes").select("key", F.col("own").alias("left")).join(tiles.where("probes").select("key", F.col("own").alias("right")), "key")
+    tiles = tiles.where("not probes").select("key", F.col("own").alias("left")).join(tiles.select("key", "probes", F.col("own").alias("right")), "key")
 
     def later(own: str, others: str) -> Column:
         return F.filter(own, lambda x: F.exists(others, lambda y: (y["first"] < x["first"]) & (x["line"] != y["line"]) & within_edits(x["line"], y["line"], threshold)))
 
-    found = tiles.select(F.explode(F.transform(F.concat(later("left", "right"), later("right", "left")), lambda x: x["line"])).alias("line"))
+    # Two tiles of indexed lines meet in both orders, so one direction is enough there.
+    found = tiles.select(F.explode(F.transform(F.concat(later("left", "right"), F.when(F.col("probes"), later("right", "left")).otherwise(F.filter("right", lambda x: F.lit(False)))), lambda x: x["line"])).alias("line"))
     return found.select(*_identity()).distinct()
 
 
