@@ -100,7 +100,7 @@ def finite(x: Column) -> Column:
 
 
 def r6(x: Column | str) -> Column:
-    """Six decimals, rounded the same way in any engine; no negative zero."""
+    """Six decimals, rounded the same way in any engine; no negative zero. For values below 9e12."""
     x = F.col(x) if isinstance(x, str) else x
     return F.floor(x * 1e6 + 0.5).cast("double") / 1e6
 
