@@ -62,39 +62,43 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.known = _Words(self.word)
         self.parts: dict[str, bytes] = {}
 
-    def _plain(self, word: str) -> bytes:
-        out = []
-        for part in _SPLIT.findall(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = array("I", [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.letters))]).tobytes()
-                self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
+    def word(self, word: str) -> bytes:
+        """Ids of one part between blanks."""
+        if word.isascii() and word.isalpha():
+            return self._part(word.lower())
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self._part, _SPLIT.findall(word.lower())))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = array("I", [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.letters))]).tobytes()
+            self.parts[part] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        for kept in (known, self.parts):
+        for kept in (self.known, self.parts):
             if len(kept) > CACHED_WORDS:
                 kept.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [w for w in set().union(*split) if w not in known]
-        other = []
-        for w in new:
-            if _PLAIN.fullmatch(w) and "<|" not in w:
-                known[w] = self._plain(w)
-            else:
-                other.append(w)
-        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            known[w] = array("I", e.ids).tobytes()
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > 64:
-                del known[w]
-        return out
+        found = self.known.__getitem__
+        return [b"".join(map(found, t.replace("\n", " ").split(" "))) for t in texts]
+
+
+class _Words(dict):
+    """Words and their ids; a word that is not there is encoded, and kept unless it is long."""
+
+    def __init__(self, encode) -> None:
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
 
 
 def encoder(path: str) -> WordEncoder:
