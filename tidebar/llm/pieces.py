@@ -166,14 +166,15 @@ class PieceCodec:
                 kept.clear()
         split = [self.parts(t) for t in texts]
         variant = [zlib.crc32(t.encode()) % VARIANTS for t in texts]
+        long: list[tuple] = []
         for v in set(variant):
             known = self.known[v]
             new = [p for p in set().union(*(s for s, own in zip(split, variant, strict=True) if own == v)) if p not in known]
             known.update(zip(new, self.segment(new, v), strict=True))
+            long += [(known, p) for p in new if len(p) > 64]
         out = [b"".join(map(self.known[v].__getitem__, s)) for s, v in zip(split, variant, strict=True)]
-        for kept in self.known:
-            for p in [p for p in kept if len(p) > 64]:
-                del kept[p]
+        for kept, p in long:
+            del kept[p]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
