@@ -1,8 +1,9 @@
 """Line dedup by a segment-partition edit join, in DataFrame expressions alone.
 
 Texts are split at line ends. A line of MIN_CHARS characters or more is removed where an earlier line of any document
-(by doc_id, then by place) equals it or is within THRESHOLD edits of it; shorter lines always stay, and the rest of the
-text stays as it is. A line is cut into THRESHOLD + 1 segments, of which any line within the threshold must contain one
+(by doc_id, then by place) equals it or is within THRESHOLD edits of it. Of shorter lines that are not blank the exact
+repeats go too where `short_repeats` is set, as op10 and the pipeline do, and else they stay; the rest of the text
+stays as it is. A line is cut into THRESHOLD + 1 segments, of which any line within the threshold must contain one
 unchanged, within a known shift: lines are indexed by (length, segment number, segment) and probe the substrings that
 the length difference allows. Only the hashed keys are counted, so copies of a line meet in partial aggregation; lines
 under a key that different lines share are then gathered in tiles of bounded size, and a tile yields the lines that
@@ -120,10 +121,11 @@ def segment_keys(line: Column, threshold: int = THRESHOLD) -> tuple[list[Column]
     return index, probe
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, doc_id: str, text: str, min_chars: int, short_repeats: bool = False) -> DataFrame:
     """(doc_id, th, pos, line) of the lines that may go; th tells texts of one doc_id apart."""
     lines = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return lines.where(F.length("line") >= min_chars)
+    long = F.length("line") >= min_chars
+    return lines.where(long | F.col("line").rlike("\\S") if short_repeats else long)
 
 
 _PLACE = ("doc_id", "th", "pos")
@@ -161,11 +163,11 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return found.select(*_identity()).distinct()
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
     """docs with the removed lines taken out of `text`, and the columns n_lines and n_removed."""
     lines = _lines(docs, doc_id, text, min_chars)
     near = near_lines(lines, threshold).withColumn("near", F.lit(True))
-    places = lines.select(*_PLACE, *_identity())
+    places = _lines(docs, doc_id, text, min_chars, short_repeats).select(*_PLACE, *_identity())
     repeated = places.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).join(near, ["h1", "h2"], "left").where("n > 1 or near")
     gone = places.join(repeated, ["h1", "h2"]).where(F.col("near").isNotNull() | (F.col("first") != _place()))
     removed = written(gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("removed")), "removed")
@@ -180,6 +182,6 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
 
 
 def op10_linededup(spark, sf_dir: str) -> DataFrame:
-    kept = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    kept = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), short_repeats=True)
     raw = F.coalesce(F.col("text"), F.lit(""))
     return kept.select("doc_id", "n_lines", "n_removed", F.length(raw).cast("long").alias("kept_chars"), F.crc32(raw.cast("binary")).alias("kept_crc32"))
