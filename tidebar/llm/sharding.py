@@ -4,26 +4,32 @@ Rows lie in old shards, each cut into a fixed number of blocks by hash. The flow
 shard to every new one, free if they are the same and else at one a byte; old sizes are the supplies, near-equal sizes
 the capacities, so its optimum moves the fewest bytes. Whole blocks then follow the flow, largest first, and a last
 pass exchanges single blocks between the fullest and the emptiest shard while that brings their sizes together. Only
-the sizes of blocks, a fixed number of rows, reach the driver; `rewrite` writes the shards that change and no others.
+the sizes of blocks, a fixed number of rows, reach the driver; `rewrite` writes the shards that change and no others,
+and deletes those that lose all rows. op6 lays whole rows out as old shards, reshards these files, and reads its
+columns back from them.
 
 Defined results: a null text has no bytes and the crc32 of the empty text; rows with equal values are placed each for
-itself; rows without doc_id are spread like others; an empty table gives an empty table; only the id and text columns
-are read, so other columns never clash.
+itself; rows without doc_id are spread like others; an empty table gives an empty table; other columns go along in one
+struct, so they never clash.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidebar.session import written
+from tidebar.session import shared_dir
 
 OLD_SHARDS = 16
 SHARDS = 24
 #: Blocks of an old shard.
 BLOCKS = 512
+#: Parts in which a new shard is dealt out, and so files it has, about.
+PARTS = 8
 #: Bytes of a row besides its text.
 ROW_BYTES = 8
 
@@ -130,7 +136,7 @@ def transfers(blocks: dict[tuple[int, int], int], old_shards: int, shards: int)
 
 
 def reshard(rows: DataFrame, old_shards: int, shards: int) -> DataFrame:
-    """rows (doc_id, size, text_crc32, old_shard; a table, read more than once) with shard and slot."""
+    """rows (doc_id, size, text_crc32, old_shard and others; a table, read more than once) with shard and slot."""
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.lit("block")), F.lit(BLOCKS)).cast("int"))
     found = rows.groupBy("old_shard", "_block").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # old_shards * BLOCKS at most
     placed = transfers({(r["old_shard"], r["_block"]): r["size"] for r in found}, old_shards, shards)
@@ -140,8 +146,10 @@ def reshard(rows: DataFrame, old_shards: int, shards: int) -> DataFrame:
         plan.append((r["old_shard"], r["_block"], shard, first[shard]))
         first[shard] += r["n"]
     table = rows.sparkSession.createDataFrame(plan, "old_shard int, _block int, shard int, _first long")
-    within = F.row_number().over(Window.partitionBy("old_shard", "_block").orderBy("doc_id", "text_crc32", "size")) - 1
-    return rows.withColumn("_within", within).join(F.broadcast(table), ["old_shard", "_block"]).withColumn("slot", F.col("_first") + F.col("_within")).drop("_block", "_first", "_within")
+    # Dealt once, so that a shard is written by few tasks and the window needs no other exchange.
+    dealt = rows.join(F.broadcast(table), ["old_shard", "_block"]).withColumn("_part", F.pmod("_block", F.lit(PARTS))).repartition("shard", "_part")
+    within = F.row_number().over(Window.partitionBy("shard", "_part", "old_shard", "_block").orderBy("doc_id", "text_crc32", "size")) - 1
+    return dealt.withColumn("slot", F.col("_first") + within).drop("_block", "_first", "_part")
 
 
 def measured(docs: DataFrame, old_shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -156,16 +164,49 @@ def measured(docs: DataFrame, old_shards: int, doc_id: str = "doc_id", text: str
 
 
 def rewrite(rows: DataFrame, path: str) -> list[int]:
-    """Write the shards that change (rows with old_shard and shard) below path, and return their numbers. A shard that
-    neither loses nor gains a row keeps its files."""
-    moved = rows.where("shard <> old_shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
-    affected = sorted(r["s"] for r in moved.collect())  # at most the number of shards
-    out = rows.where(F.col("shard").isin(affected)).drop("old_shard")
-    out.repartition("shard", F.pmod(F.col("slot"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    """Write the shards that change (rows as `reshard` deals them, with old_shard, old_slot, shard and slot) below path,
+    and return their numbers. A shard that neither loses nor gains a row, and whose rows have slots, keeps its files; one that loses all
+    its rows is deleted."""
+    spark = rows.sparkSession
+    held = rows.groupBy("old_shard", "shard").agg(F.max(F.col("old_slot").isNull()).alias("new")).collect()  # at most a row for each pair of shards
+    affected = sorted({s for r in held if r["new"] or r["old_shard"] != r["shard"] for s in (r["old_shard"], r["shard"])})
+    out = rows.where(F.col("shard").isin(affected)).drop("old_shard", "old_slot")
+    out.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    for emptied in set(affected) - {r["shard"] for r in held}:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={emptied}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     return affected
 
 
+def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """(shard, slot, row) of the shards below path as their files are now; schema is the rows'."""
+    whole = StructType().add("slot", "long").add("row", schema).add("shard", "integer")
+    return spark.read.schema(whole).parquet(path)
+
+
+def lay_out(docs: DataFrame, path: str, shards: int, doc_id: str = "doc_id") -> None:
+    """Write the whole rows as shards below path, yet without slots: the shard by the hash of the id."""
+    shard = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(shards)).cast("int")
+    rows = docs.select(F.lit(None).cast("long").alias("slot"), F.struct(*docs.columns).alias("row"), shard.alias("shard"))
+    rows.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
+def reshard_files(spark: SparkSession, path: str, schema: StructType, old_shards: int, shards: int, doc_id: str = "doc_id", text: str = "text") -> list[int]:
+    """Bring the shards below path from old_shards to shards, in place; returns the shards that were written or deleted."""
+    files = stored(spark, path, schema)
+    rows = files.select(*_measures(F.col("row")[doc_id], F.col("row")[text]), F.col("shard").alias("old_shard"), F.col("slot").alias("old_slot"), "row")
+    return rewrite(reshard(rows, old_shards, shards).select("old_shard", "old_slot", "shard", "slot", "row"), path)
+
+
+def _measures(doc_id, text) -> list:
+    raw = F.coalesce(text.cast("string"), F.lit("")).cast("binary")
+    return [doc_id.alias("doc_id"), (F.octet_length(raw) + ROW_BYTES).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")]
+
+
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    placed = reshard(written(measured(docs, OLD_SHARDS), "measured"), OLD_SHARDS, SHARDS)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = f"{shared_dir(spark)}/tidebar/shards-{uuid.uuid4().hex}"
+    lay_out(docs, path, OLD_SHARDS)
+    reshard_files(spark, path, docs.schema, OLD_SHARDS, SHARDS)
+    files = stored(spark, path, docs.schema)
+    return files.select(*_measures(F.col("row.doc_id"), F.col("row.text")), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
