@@ -5,13 +5,16 @@ Texts are split at line ends. A line of MIN_CHARS characters or more is removed
 repeats go too where `short_repeats` is set, as op10 and the pipeline do, and else they stay; the rest of the text
 stays as it is. A line is cut into THRESHOLD + 1 segments, of which any line within the threshold must contain one
 unchanged, within a known shift: lines are indexed by (length, segment number, segment) and probe the substrings that
-the length difference allows. Only the hashed keys are counted, so copies of a line meet in partial aggregation; lines
-under a key that different lines share are then gathered in tiles of bounded size, and a tile yields the lines that
-have an earlier one within the threshold, by banded bit-parallel edit distance, never its pairs.
+the length difference allows. Only the hashed keys are counted, so copies of a line meet in partial aggregation. Lines
+under a key that different lines share are then gathered in tiles of bounded size, once a key that many share has been
+refined by segments of the rest of the line, and a tile yields the lines that have an earlier one within the threshold,
+by banded bit-parallel edit distance, never its pairs. Only hashes and places are joined, and the texts of lines that
+share a key; the removed places of a document go to it at the end.
 
 Defined results: a null text stays null and has no lines; rows with equal doc_id and text are one document and get the
 same result; a null doc_id comes after all others; of equal lines in one document the first stays; an empty table gives
-an empty table; a document whose lines all go keeps its row with an empty text; other columns pass through.
+an empty table; a document whose lines all go keeps its row with an empty text; a line of any length is compared whole;
+other columns pass through, whatever their names, but columns n_lines and n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -19,12 +22,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.session import written
+from tidebar.llm.hot import join_hot
+from tidebar.session import forget, written
 
 THRESHOLD = 2
 MIN_CHARS = 40
 #: Lines on either side of a tile, about.
 TILE = 64
+#: Pieces of a line that are looked for in another before their distance is computed.
+PIECES = 24
+#: Lines under one key from which on it is refined by segments of what remains of them.
+REFINED = 256
 #: Keys that are broadcast at most (8 bytes each); beyond it they are joined by shuffling.
 BROADCAST_KEYS = 500_000
 _TOP = 20
@@ -38,7 +46,7 @@ def _let(value: Column, body) -> Column:
 def within_edits(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
     """Whether the edit distance of two strings is at most the threshold.
 
-    After the common prefix, each character of b is one step of a bit-vector of 2 * threshold + 1 diagonals: bit _TOP
+    Between the common prefix and suffix, each character of b is one step of a bit-vector of 2 * threshold + 1 diagonals: bit _TOP
     is the lowest row of the band, and `score` is the distance there, then along the last row of a.
     """
     everything = (1 << _TOP + 1) - 1
@@ -52,9 +60,8 @@ def within_edits(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
             lambda done, p: F.when((done + p <= most) & (F.substring(x, done + 1, p) == F.substring(y, done + 1, p)), done + p).otherwise(done),
         )
 
-    def chars(x: Column, done: Column) -> Column:
-        rest = F.substring(x, done + 1, F.length(x))
-        return F.when(rest == "", F.array().cast("array<string>")).otherwise(F.split(rest, ""))
+    def chars(x: Column) -> Column:
+        return F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ""))
 
     def distance(s: Column) -> Column:
         p, t, m, n = s["p"], s["t"], s["m"], s["n"]
@@ -87,38 +94,41 @@ def within_edits(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
         steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
         return F.aggregate(steps, start, step, lambda state: state["score"])
 
-    def cut(done: Column) -> Column:
-        pair = F.struct(chars(a, done).alias("p"), chars(b, done).alias("t"), (F.length(a) - done).alias("m"), (F.length(b) - done).alias("n"))
-        return _let(pair, distance) <= threshold
+    def without_prefix(x: Column, y: Column) -> Column:
+        return _let(prefix(x, y), lambda done: F.struct(F.substring(x, done + 1, F.length(x)).alias("x"), F.substring(y, done + 1, F.length(y)).alias("y")))
 
-    return (F.abs(F.length(a) - F.length(b)) <= threshold) & _let(prefix(a, b), cut)
+    def middle(rest: Column) -> Column:
+        """The pair without its common prefix, backwards; without that one's, it has no common suffix."""
+        return without_prefix(F.reverse(rest["x"]), F.reverse(rest["y"]))
 
+    def measured(s: Column) -> Column:
+        return _let(F.struct(chars(s["x"]).alias("p"), chars(s["y"]).alias("t"), F.length(s["x"]).alias("m"), F.length(s["y"]).alias("n")), distance)
 
-def segment_keys(line: Column, threshold: int = THRESHOLD) -> tuple[list[Column], list[Column]]:
-    """Hashed keys of a line in UTF-32, where a character has a fixed place: those under which it is indexed, by which it
-    also probes for lines of its own length, and those by which it only probes, for lines as long or shorter."""
+    return (F.abs(F.length(a) - F.length(b)) <= threshold) & (_let(_let(without_prefix(a, b), middle), measured) <= threshold)
+
+
+def segment_keys(line: Column, threshold: int = THRESHOLD) -> list[tuple[Column, Column, Column, bool]]:
+    """(hashed key, start from 0, length, whether it only probes) of each segment key of a line in UTF-32, where a
+    character has a fixed place. A line is indexed under those that do not only probe, and probes with all of them for
+    lines as long or shorter."""
     parts = threshold + 1
 
     def span(length: Column, i: int) -> tuple[Column, Column]:
-        """Start (from 1) and length of segment i of a line: the last ones are a character longer where needed."""
+        """Start and length of segment i of a line: the last ones are a character longer where needed."""
         base, more = F.floor(length / parts).cast("int"), F.pmod(length, F.lit(parts)).cast("int")
-        start = base * i + F.greatest(F.lit(0), more - (parts - i)) + 1
+        start = base * i + F.greatest(F.lit(0), more - (parts - i))
         return start, base + F.when(F.lit(parts - i) <= more, 1).otherwise(0)
 
-    def key(length: Column, i: int, start: Column, size: Column) -> Column:
-        return F.xxhash64(length, F.lit(i), F.substring(line, start * 4 - 3, size * 4))
-
     own = F.shiftright(F.length(line), 2)
-    index = [key(own, i, *span(own, i)) for i in range(parts)]
-    probe = []
+    index, probe = [], []
     for shorter in range(threshold + 1):
         length = own - shorter
         for i in range(parts):
             start, size = span(length, i)
             for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + threshold - i) + 1):
-                if shorter or shift:
-                    probe.append(key(length, i, start + shift, size))
-    return index, probe
+                key = F.xxhash64(length, F.lit(i), F.substring(line, (start + shift) * 4 + 1, size * 4))
+                (probe if shorter or shift else index).append((key, start + shift, size, bool(shorter or shift)))
+    return index + probe
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, min_chars: int, short_repeats: bool = False) -> DataFrame:
@@ -140,45 +150,107 @@ def _identity() -> list[Column]:
     return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), F.col("line")).alias("h2")]
 
 
-def near_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(h1, h2) of the lines that have an earlier, different line within the threshold."""
-    index, probe = segment_keys(F.col("_utf32"), threshold)
-    sides = F.array(*[F.struct(k.alias("key"), F.lit(False).alias("probes")) for k in index], *[F.struct(k.alias("key"), F.lit(True).alias("probes")) for k in probe])
-    coded = lines.select("line", *_PLACE, F.encode("line", "UTF-32").alias("_utf32"), F.xxhash64("line").alias("h"))
-    keyed = coded.select("line", "h", *_PLACE, F.explode(sides).alias("e")).select("e.key", "e.probes", "line", "h", *_PLACE)
+def _spread(rows: DataFrame, carried: list[Column], keys: list[tuple[Column, Column, Column, bool]], where: bool = False) -> DataFrame:
+    """A row for each segment key: (carried, key, probes, and start and size where asked for). The keys are columns
+    first, so that what they share is computed once a line; `stack` takes them apart without copying it."""
+    wide = rows.select(*carried, *[x.alias(f"_{n}{i}") for i, k in enumerate(keys) for n, x in zip("kst", k[: 3 if where else 1], strict=False)])
+    cells = [c for i, k in enumerate(keys) for c in (F.col(f"_k{i}"), F.lit(k[3]), *([F.col(f"_s{i}"), F.col(f"_t{i}")] if where else []))]
+    own = [c for c in wide.columns if not c.startswith("_")]
+    return wide.select(*own, F.stack(F.lit(len(keys)), *cells).alias("key", "probes", *(["start", "size"] if where else [])))
+
+
+def _shared(keyed: DataFrame, name: str) -> DataFrame:
+    """The keys under which a line is indexed and another, different one indexed or probing."""
     met = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("probes").alias("p"))
-    shared = written(met.where("a <> b and not p").select("key"), "keys")
-    some = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    held = written(keyed.join(some, "key").groupBy("key", "probes", "line").agg(F.min(_place()).alias("first")), "held")
-    parts = held.groupBy("key", "probes").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    salted = held.join(parts, ["key", "probes"]).withColumn("part", F.pmod(F.xxhash64("line", F.lit(7)), F.col("parts")).cast("int"))
-    tiles = salted.groupBy("key", "probes", "part").agg(F.collect_list(F.struct("first", "line")).alias("own"))
-    tiles = tiles.where("not probes").select("key", F.col("own").alias("left")).join(tiles.select("key", "probes", F.col("own").alias("right")), "key")
+    return written(met.where("a <> b and not p").select("key"), name)
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
-    def later(own: str, others: str) -> Column:
-        return F.filter(own, lambda x: F.exists(others, lambda y: (y["first"] < x["first"]) & (x["line"] != y["line"]) & within_edits(x["line"], y["line"], threshold)))
 
-    # Two tiles of indexed lines meet in both orders, so one direction is enough there.
-    found = tiles.select(F.explode(F.transform(F.concat(later("left", "right"), F.when(F.col("probes"), later("right", "left")).otherwise(F.filter("right", lambda x: F.lit(False)))), lambda x: x["line"])).alias("line"))
-    return found.select(*_identity()).distinct()
+def near_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(h1, h2) of the lines that have an earlier, different line within the threshold."""
+    coded = lines.select(*_PLACE, "line", F.xxhash64("line").alias("h"), F.encode("line", "UTF-32").alias("utf32"))
+    keys = segment_keys(F.col("utf32"), threshold)
+    shared = _shared(_spread(coded, [F.col("h")], keys), "keys")
+    # Only hashes meet the shared keys; the few lines that are left are then fetched once.
+    held = written(_spread(coded, [F.col("h")], keys, True).join(_few(shared), "key").distinct(), "held")
+    forget(shared)
+    wanted = written(held.groupBy("h").count().select("h"), "wanted")
+    texts = written(coded.join(_few(wanted), "h").groupBy("h", "line").agg(F.min(_place()).alias("first")), "texts")
+    # A key that many lines share is refined: they equal each other there, so at most `threshold` edits are in what
+    # remains of them, which is cut into segments again.
+    sizes = held.groupBy("key").agg(F.count("*").alias("n"))
+    sized = written(join_hot(held, sizes, ["key"], F.xxhash64("h", "start", "probes")), "sized")
+    many = sized.where(F.col("n") > REFINED).select("key", "probes", "h", "start", "size")
+    met = sized.where(F.col("n") <= REFINED).select("key", "probes", "h")
+    finer = None
+    if not many.isEmpty():
+        rest = many.join(texts.select("h", "line"), "h").withColumn("utf32", F.encode("line", "UTF-32"))
+        rest = rest.select("h", F.col("key").alias("above"), F.col("probes").alias("asks"), F.concat(F.expr("substring(utf32, 1, start * 4)"), F.expr("substring(utf32, (start + size) * 4 + 1)")).alias("utf32"))
+        finer = _spread(rest, [F.col("h"), F.col("above"), F.col("asks")], segment_keys(F.col("utf32"), threshold))
+        finer = finer.select(F.xxhash64("above", "key").alias("key"), (F.col("probes") | F.col("asks")).alias("probes"), "h")
+        again = _shared(finer, "keys")
+        finer = written(finer.join(_few(again), "key").distinct(), "finer")
+        met = met.unionByName(finer.select("key", "probes", "h"))
+    counted = met.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(~F.col("probes"), 1)).alias("n_index"))
+    parts = counted.select("key", "n", F.ceil(F.col("n_index") / TILE).cast("int").alias("lefts"), F.ceil((F.col("n") - F.col("n_index")) / TILE).cast("int").alias("rights"))
+    dealt = join_hot(met, written(parts, "parts"), ["key"], F.xxhash64("h", "probes"))
+    # Indexed lines are cut into `lefts` tiles, probing ones into `rights`; each tile of the one side meets each of the
+    # other, and the tiles of the indexed side each other once, as groups of (key, left tile, right tile).
+    own_left = F.pmod(F.xxhash64("h", F.lit(7)), F.col("lefts")).cast("int")
+    among = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda j: F.struct(F.least(own_left, j).alias("l"), F.greatest(own_left, j).alias("r"), (own_left > j).alias("second"), F.lit(False).alias("probes")))
+    lefts = F.transform(F.when(F.col("rights") > 0, F.sequence(F.lit(0), F.col("rights") - 1)).otherwise(F.array().cast("array<int>")), lambda j: F.struct(own_left.alias("l"), j.alias("r"), F.lit(False).alias("second"), F.lit(True).alias("probes")))
+    own_right = F.pmod(F.xxhash64("h", F.lit(7)), F.col("rights")).cast("int")
+    rights = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda j: F.struct(j.alias("l"), own_right.alias("r"), F.lit(True).alias("second"), F.lit(True).alias("probes")))
+    placed = dealt.select("key", "h", F.explode(F.when(F.col("probes"), rights).otherwise(F.concat(among, lefts))).alias("t")).select("key", "h", "t.*")
+    whole = placed.join(texts.withColumnRenamed("h", "th"), F.col("h") == F.col("th")).select("key", "l", "r", "probes", "second", "line", "first")
+    tile = F.struct("first", "line", _pieces(F.col("line"), threshold).alias("pieces"))
+    tiles = whole.groupBy("key", "l", "r", "probes").agg(F.collect_list(F.when(~F.col("second"), tile)).alias("a"), F.collect_list(F.when(F.col("second"), tile)).alias("b"))
+
+    def later(own: Column, others: Column) -> Column:
+        return F.filter(own, lambda x: F.exists(others, lambda y: (y["first"] < x["first"]) & (x["line"] != y["line"]) & _alike(x, y, threshold) & within_edits(x["line"], y["line"], threshold)))
+
+    # A tile that meets itself has no second side.
+    both = F.when(F.col("probes") | (F.col("l") != F.col("r")), F.concat(later(F.col("a"), F.col("b")), later(F.col("b"), F.col("a")))).otherwise(later(F.col("a"), F.col("a")))
+    found = written(tiles.select(F.explode(F.transform(both, lambda x: x["line"])).alias("line")).select(*_identity()).distinct(), "near")
+    for table in (held, wanted, texts, sized, *([finer] if finer else [])):
+        forget(table)
+    return found
+
+
+def _pieces(line: Column, threshold: int) -> Column:
+    """PIECES pieces of a line: a line within the threshold has all but `threshold` of them."""
+    n = max(PIECES, threshold + 1)
+    size = F.greatest(F.floor(F.length(line) / n).cast("int"), F.lit(1))
+    return F.array(*[F.substring(line, size * i + 1, size) for i in range(n)])
+
+
+def _alike(x: Column, y: Column, threshold: int) -> Column:
+    """A cheap test that no pair within the threshold fails."""
+    return F.size(F.filter(y["pieces"], lambda p: ~F.contains(x["line"], p))) <= threshold
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
     """docs with the removed lines taken out of `text`, and the columns n_lines and n_removed."""
-    lines = _lines(docs, doc_id, text, min_chars)
-    near = near_lines(lines, threshold).withColumn("near", F.lit(True))
+    near = near_lines(_lines(docs, doc_id, text, min_chars), threshold).withColumn("near", F.lit(True))
     places = _lines(docs, doc_id, text, min_chars, short_repeats).select(*_PLACE, *_identity())
-    repeated = places.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).join(near, ["h1", "h2"], "left").where("n > 1 or near")
-    gone = places.join(repeated, ["h1", "h2"]).where(F.col("near").isNotNull() | (F.col("first") != _place()))
-    removed = written(gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("removed")), "removed")
-    removed = removed.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("removed").alias("_removed"))
-    marked = docs.withColumn("_text_hash", F.xxhash64(text))
-    joined = marked.join(removed, marked[doc_id].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th")), "left")
-    split = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_removed"))
-    rebuilt = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(_let(split, lambda s: F.transform(left, lambda i: F.get(s, i))), "\n"))
-    out = joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long")).withColumn("n_removed", F.coalesce(F.size("_removed"), F.lit(0)).cast("long"))
-    return out.withColumn(text, rebuilt).drop("_text_hash", "_id", "_th", "_removed")
+    firsts = places.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
+    repeated = written(firsts.join(_few(near), ["h1", "h2"], "left").where("n > 1 or near"), "repeated")
+    gone = join_hot(places, repeated, ["h1", "h2"], F.xxhash64(*_PLACE)).where(F.col("near").isNotNull() | (F.col("first") != _place()))
+    removed = gone.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_removed"))
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_own"), F.xxhash64(text).alias("_hash"))
+    # The smaller side is hashed, so that no text is sorted.
+    joined = marked.join(removed.hint("shuffle_hash"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")), "left")
+    own = F.col("_row")[text]
+    joined = joined.select("_row", "_removed", F.split(own, "\n").alias("_split"))
+    split = F.col("_split")
+    left = F.filter(F.transform(split, lambda line, i: F.when(~F.array_contains("_removed", i), line)), lambda line: line.isNotNull())
+    rebuilt = F.when(F.col("_removed").isNull(), own).otherwise(F.array_join(left, "\n"))
+    columns = [rebuilt.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    counts = [F.when(own.isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed")]
+    return joined.select(*columns, *counts)
 
 
 def op10_linededup(spark, sf_dir: str) -> DataFrame:
