@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Every step joins and aggregates by key with partial aggregation, so a vertex with very many links is not gathered in
-one task; each round is written to the shared folder, which cuts the lineage, and the round before is deleted.
+Every step aggregates by key with partial aggregation and joins back with keys that have a large share of the links
+broadcast (they are few, whatever the size), so a vertex with very many links is not gathered in one task. Each round is
+written to the shared folder, which cuts the lineage, and the round before is deleted.
 """
 
 from __future__ import annotations
@@ -9,28 +10,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.llm.hot import LEAST, join_hot
 from tidebar.session import forget, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, component) for every vertex that has a link: component is the smallest vertex it can reach.
 
-    Null ends are no vertices; loops and repeated links change nothing; no links give an empty table.
+    Vertices are longs. Null ends are no vertices; loops and repeated links change nothing; no links give an empty table.
     """
     edges = links.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     edges = written(edges, "links")
     known = _state(edges)
-    while True:
+    while known[0]:
+        total = 2 * known[0]
+        # Tables that join_hot looks at more than once; few links need none of that.
+        made: list[DataFrame] = []
+
+        def table(df: DataFrame, name: str) -> DataFrame:
+            if total <= LEAST:
+                return df
+            made.append(written(df, name))
+            return made[-1]
+
         # Large-star: every vertex sends its larger neighbours to its smallest one (itself included).
-        both = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(edges.select(F.col("u").alias("x"), F.col("v").alias("y")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v > u").distinct()
+        both = edges.select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("u").alias("y")), F.struct(F.col("u").alias("x"), F.col("v").alias("y")))).alias("e")).select("e.*")
+        least = table(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count(F.when(F.col("y") > F.col("x"), 1)).alias("n")), "least")
+        large = join_hot(both.where("y > x"), least.where("n > 0"), ["x"], F.xxhash64("y"), total=total, least=LEAST).select(F.col("y").alias("v"), F.col("m").alias("u")).where("v > u").distinct()
+        large = table(large, "large")
         # Small-star: every vertex and its smaller neighbours go to the smallest of those.
-        lowest = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(lowest, "v").select(F.explode(F.array("v", "u")).alias("v"), F.col("m").alias("u")).where("v > u").distinct()
+        lowest = table(large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")), "lowest")
+        small = join_hot(large, lowest, ["v"], F.xxhash64("u"), total=total, least=LEAST).select(F.explode(F.array("v", "u")).alias("v"), F.col("m").alias("u")).where("v > u").distinct()
         after = written(small, "links")
         state = _state(after)
-        forget(edges)
+        for done in (edges, *made):
+            forget(done)
         edges = after
         if state == known:
             break
