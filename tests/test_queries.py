@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidebar import queries
+from tidebar import queries, queries_more
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -25,7 +25,7 @@ def same(a, b) -> bool:
     return a == b
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries_more.ORACLES))
 def test_equals_sql(spark, duck, name):
     found = queries.QUERIES[name](spark, SF)
     columns = ", ".join(f'"{c}"' for c in found.columns)

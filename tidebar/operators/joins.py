@@ -23,6 +23,26 @@ def calendar(bars: DataFrame) -> DataFrame:
     return bars.select("ts").distinct().crossJoin(F.broadcast(bars.select("symbol").distinct()))
 
 
+def on_calendar(bars: DataFrame, books: tuple[str, ...] = (), keyed: DataFrame | None = None) -> DataFrame:
+    """(books, symbol, ts, close) on the calendar, once for each book of `keyed`; books are the variants that a caller lists."""
+    out = calendar(bars).join(bars.select("symbol", "ts", "close"), ["symbol", "ts"], "left")
+    return out.crossJoin(F.broadcast(keyed.select(*books).distinct())) if books else out
+
+
+def as_of_event(events: DataFrame, bars: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """events with bar_ts: the first bar at or after each event, null where none follows. A union and one window."""
+    both = events.withColumn("_side", F.lit(0)).unionByName(bars.select(*keys, "ts", F.col("ts").alias("_bar"), F.lit(1).alias("_side")), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("ts", "_side").rowsBetween(0, Window.unboundedFollowing)
+    return both.withColumn("bar_ts", F.first("_bar", ignorenulls=True).over(w)).where("_side = 0").select(*events.columns, "bar_ts")
+
+
+def without_overlap(rows: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """rows (ts, t1) that overlap no span (begin, end) of their key: t1 > begin and ts < end is an overlap."""
+    own, other = rows.alias("r"), spans.alias("s")
+    same = [F.col(f"r.{k}") == F.col(f"s.{k}") for k in keys]
+    return own.join(other, [*same, F.col("r.t1") > F.col("s.begin"), F.col("r.ts") < F.col("s.end")], "left_anti")
+
+
 def densify(bars: DataFrame, series: DataFrame, fill: float | None = 0.0) -> DataFrame:
     """series on the calendar of bars; gaps are filled with `fill`, or left null."""
     out = calendar(bars).join(series, ["symbol", "ts"], "left")

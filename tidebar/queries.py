@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.columns import pct_rank, r6, stamp
 from tidebar.operators.backtest import Costs, buy_and_hold, run_backtest
-from tidebar.operators.features import price_features, with_returns
+from tidebar.operators.features import price_features, realised_vol, with_returns
 from tidebar.operators.joins import asof, calendar, panel
 from tidebar.operators.labels import concurrency, triple_barrier, vertical_barriers
 from tidebar.operators.metrics import drawdown, monthly, performance
@@ -213,23 +213,31 @@ def _vertical_barriers(spark, sf_dir):
     return vertical_barriers(bars_daily(spark, sf_dir), 24).select("symbol", stamp().alias("ts"), stamp("t1").alias("t1"))
 
 
-def _labels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def labelled_bars(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Bars, and their labels: every bar is an event, and its target is the realised volatility."""
     bars = bars_daily(spark, sf_dir)
-    events = with_returns(bars).withColumns({"_target": F.lit(0.05), "_event": F.dayofmonth("ts") % 5 == 0})
+    events = with_returns(bars)
+    events = events.withColumns({"_target": realised_vol(F.col("ret_1"), 24), "_event": F.lit(True)})
     return bars, triple_barrier(events, "_event", "_target")
 
 
-_LABELS = f"""WITH {_DAILY}, p AS (SELECT symbol, ts, close, row_number() OVER ({_W}) AS n FROM bars),
- q AS (SELECT a.symbol, a.ts, b.ts AS t1, b.n AS n, b.close / a.close - 1 AS ret FROM p a JOIN p b ON a.symbol = b.symbol AND b.n BETWEEN a.n + 1 AND a.n + 24 WHERE day(a.ts) % 5 = 0),
- l AS (SELECT symbol, ts, coalesce(min(n) FILTER (ret > 0.1 OR ret < -0.05), max(n)) AS n FROM q GROUP BY 1, 2),
- labels AS (SELECT q.symbol, q.ts, q.t1, q.ret FROM q JOIN l ON q.symbol = l.symbol AND q.ts = l.ts AND q.n = l.n)"""
+def labels_sql(target: str, low: float = 0.001, side: str = "1") -> str:
+    """labels: (symbol, ts, t1, ret, trgt, side) of every bar, with a target and a side given as SQL over f."""
+    return f"""WITH {_DAILY}, f AS (SELECT *, ln(close) - lag(ln(close)) OVER ({_W}) AS ret_1, row_number() OVER ({_W}) AS n FROM bars),
+ g AS (SELECT *, {target} AS own, {side} AS side FROM f), p AS (SELECT *, last_value(own IGNORE NULLS) OVER ({_W}) AS trgt FROM g),
+ q AS (SELECT a.symbol, a.ts, b.ts AS t1, b.n AS n, a.trgt, coalesce(a.side, 0) AS side, (b.close / a.close - 1) * coalesce(a.side, 0) AS ret FROM p a JOIN p b ON a.symbol = b.symbol AND b.n BETWEEN a.n + 1 AND a.n + 24 WHERE a.trgt > {low}),
+ l AS (SELECT symbol, ts, coalesce(min(n) FILTER (ret > 2 * trgt OR ret < -trgt), max(n)) AS n FROM q GROUP BY 1, 2),
+ labels AS (SELECT q.symbol, q.ts, q.t1, q.ret, q.trgt, q.side FROM q JOIN l ON q.symbol = l.symbol AND q.ts = l.ts AND q.n = l.n)"""
 
 
-@_query("triple_barrier", f"{_LABELS} SELECT symbol, {_TS}, strftime(t1, '%Y-%m-%d %H:%M:%S') AS t1, {_r('ret')} AS ret, sign(ret)::INT AS bin FROM labels")
+LABELS = labels_sql(_roll("stddev_samp", "ret_1", 24, 12))
+
+
+@_query("triple_barrier", f"{LABELS} SELECT symbol, {_TS}, strftime(t1, '%Y-%m-%d %H:%M:%S') AS t1, {_r('ret')} AS ret, sign(ret)::INT AS bin FROM labels")
 def _triple_barrier(spark, sf_dir):
-    return _labels(spark, sf_dir)[1].select("symbol", stamp().alias("ts"), stamp("t1").alias("t1"), r6("ret").alias("ret"), "bin")
+    return labelled_bars(spark, sf_dir)[1].select("symbol", stamp().alias("ts"), stamp("t1").alias("t1"), r6("ret").alias("ret"), "bin")
 
 
-@_query("concurrency", f"{_LABELS} SELECT bars.symbol, strftime(bars.ts, '%Y-%m-%d %H:%M:%S') AS ts, count(l2.ts) AS concurrent FROM bars LEFT JOIN labels l2 ON l2.symbol = bars.symbol AND bars.ts BETWEEN l2.ts AND l2.t1 GROUP BY bars.symbol, bars.ts")
+@_query("concurrency", f"{LABELS} SELECT bars.symbol, strftime(bars.ts, '%Y-%m-%d %H:%M:%S') AS ts, count(l2.ts) AS concurrent FROM bars LEFT JOIN labels l2 ON l2.symbol = bars.symbol AND bars.ts BETWEEN l2.ts AND l2.t1 GROUP BY bars.symbol, bars.ts")
 def _concurrency(spark, sf_dir):
-    return concurrency(*_labels(spark, sf_dir)).select("symbol", stamp().alias("ts"), "concurrent")
+    return concurrency(*labelled_bars(spark, sf_dir)).select("symbol", stamp().alias("ts"), "concurrent")
