@@ -19,14 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.labelled import bounded_sample, held_out_flag
+from tidebar.llm.labelled import bounded_sample, encoded, held_out_flag, release
 from tidebar.llm.textblocks import Block, blocks, per_text_sums
 from tidebar.session import ship
 
 BITS = 15
-#: Rows of each language that are used for fitting, at most, and how many languages, at most.
+#: Rows of each language that are used for fitting, at most.
 PER_CLASS = 800
-MAX_LANGUAGES = 200
 MIN_UPDATES = 12_000
 #: Each CALIBRATE-th example sets the temperature and is not fitted.
 CALIBRATE = 5
@@ -125,8 +124,22 @@ def document_frequency(texts: DataFrame, column: str = "text") -> tuple[int, np.
     return int(n[bucket < 0].sum()), out
 
 
+def encode(column: pa.Array) -> list[pa.Array]:
+    """The distinct buckets of each text, and their shares of its n-grams."""
+    buckets_of, shares = [], []
+    for block in blocks(column):
+        buckets, bounds = features(block)
+        for i in range(bounds.shape[1] - 1):
+            own = np.concatenate([buckets[b[i] : b[i + 1]] for b in bounds])
+            unique, count = np.unique(own, return_counts=True)
+            buckets_of.append(unique)
+            shares.append((count / max(len(own), 1)).astype(np.float32))
+    return [pa.array(buckets_of, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))]
+
+
 def fit(
-    examples: list[tuple[str, str]],
+    counted: list[tuple[np.ndarray, np.ndarray]],
+    labels: list[str],
     rows: int,
     frequency: np.ndarray,
     alpha: float = 30.0,
@@ -136,23 +149,18 @@ def fit(
     min_updates: int = MIN_UPDATES,
 ) -> LanguageModel:
     """FTRL with elastic net over the examples in the given order, then temperature calibration on those kept back."""
-    languages = sorted({label for _, label in examples})
+    languages = sorted(set(labels))
     idf = np.log((1 + rows) / (1 + frequency)) + 1
     width = len(languages)
     if not width:
         return LanguageModel([], np.zeros((0, 1 << BITS), np.float32), np.zeros(0))
-    y = np.array([languages.index(label) for _, label in examples])
-    values: list[tuple[np.ndarray, np.ndarray]] = []
-    for block in blocks(pa.array([t for t, _ in examples], pa.large_string())):
-        buckets, bounds = features(block)
-        for i in range(bounds.shape[1] - 1):
-            own = np.concatenate([buckets[b[i] : b[i + 1]] for b in bounds])
-            unique, count = np.unique(own, return_counts=True)
-            values.append((unique, count / max(len(own), 1) * idf[unique]))
+    number = {language: i for i, language in enumerate(languages)}
+    y = np.array([number[label] for label in labels])
+    values = [(unique, (share * idf[unique]).astype(np.float32)) for unique, share in counted]
     z, n = np.zeros((1 << BITS, width)), np.zeros((1 << BITS, width))
     bias = np.zeros(width)
-    fitted = [i for i in range(len(examples)) if i % CALIBRATE or len(examples) < 4 * CALIBRATE]
-    kept_back = [i for i in range(len(examples)) if i % CALIBRATE == 0]
+    fitted = [i for i in range(len(values)) if i % CALIBRATE or len(values) < 4 * CALIBRATE]
+    kept_back = [i for i in range(len(values)) if i % CALIBRATE == 0]
 
     def weights(zf: np.ndarray, nf: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zf) <= l1, 0.0, -(zf - np.sign(zf) * l1) / ((beta + np.sqrt(nf)) / alpha + l2))
@@ -185,9 +193,11 @@ def train(docs: DataFrame, per_class: int = PER_CLASS) -> LanguageModel:
     """Fit on documents whose crc32(doc_id) mod 4 is not 2 and whose lang is not null: the document frequencies over
     all of them, the weights on a bounded sample of each language."""
     rows = docs.where(~held_out_flag(F.col("doc_id"), 4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    found = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    sample = bounded_sample(rows.select("doc_id", F.col("lang").alias("label")), rows, per_class, sorted(found))
-    return fit(sample, *document_frequency(rows))
+    found, counted = encoded(bounded_sample(rows.select("doc_id", F.col("lang").alias("label")), rows, per_class), encode, ["int", "float"])
+    model = fit(counted, found, *document_frequency(rows))
+    del counted
+    release()
+    return model
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", predicted: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -212,9 +212,11 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     def later(own: Column, others: Column) -> Column:
         return F.filter(own, lambda x: F.exists(others, lambda y: (y["first"] < x["first"]) & (x["line"] != y["line"]) & _alike(x, y, threshold) & within_edits(x["line"], y["line"], threshold)))
 
-    # A tile that meets itself has no second side.
-    both = F.when(F.col("probes") | (F.col("l") != F.col("r")), F.concat(later(F.col("a"), F.col("b")), later(F.col("b"), F.col("a")))).otherwise(later(F.col("a"), F.col("a")))
-    found = written(tiles.select(F.explode(F.transform(both, lambda x: x["line"])).alias("line")).select(*_identity()).distinct(), "near")
+    # A tile that meets itself has no second side; two tiles are looked at from both.
+    two = F.col("probes") | (F.col("l") != F.col("r"))
+    seen = F.when(two, F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("others")), F.struct(F.col("b").alias("own"), F.col("a").alias("others")))).otherwise(F.array(F.struct(F.col("a").alias("own"), F.col("a").alias("others"))))
+    sides = tiles.select(F.explode(seen).alias("s"))
+    found = written(sides.select(F.explode(F.transform(later(F.col("s.own"), F.col("s.others")), lambda x: x["line"])).alias("line")).select(*_identity()).distinct(), "near")
     for table in (held, wanted, texts, sized, *([finer] if finer else [])):
         forget(table)
     return found

@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Every white-space separated word, every n-gram of 2 to 4 bytes within it (with its ends marked), and a mark for a word
-that repeats the one before it, is hashed to a bucket; a bucket has a learned vector. A text is the average of its
+Every white-space separated word, every pair of adjacent words, and every n-gram of 2 to 4 bytes within a word (with its
+ends marked) is hashed to a bucket; a bucket has a learned vector. Pairs of equal words share one bucket. A text is the average of its
 vectors, a softmax over the classes stands on top, and all is trained by stochastic gradient descent in numpy. As
 the softmax is linear in the average, a bucket's share of the logits is its vector times the output matrix: that one
 number for each bucket is what scoring looks up.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.labelled import bounded_sample, held_out_flag
+from tidebar.llm.labelled import bounded_sample, encoded, held_out_flag, release
 from tidebar.llm.textblocks import BYTE_VALUE, Block, blocks, mix64, per_text_sums, span_hashes, word_spans
 from tidebar.session import ship
 
@@ -34,7 +34,9 @@ MIN_STEPS = 15_000
 
 _SHIFT = np.uint64(64 - BITS)
 _GRAM = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-_REPEAT = int(mix64(np.array([0x52EA7], np.uint64))[0]) >> 64 - BITS
+_PAIR = np.uint64(0x8EBC6AF09C88C6E3)
+#: The bucket of all pairs of equal words: few of them recur, and together they tell junk.
+_TWICE = np.int32(int(mix64(np.array([0x52EA7], np.uint64))[0]) >> 64 - BITS)
 
 
 def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -46,10 +48,14 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     words = span_hashes(block.data, starts, lengths)
     at = np.searchsorted(starts, block.offsets)
     parts, bounds = [(words >> _SHIFT).astype(np.int32)], [at]
-    repeats = np.flatnonzero(words[1:] == words[:-1]) + 1
-    repeats = repeats[~np.isin(repeats, at)]
-    parts.append(np.full(len(repeats), _REPEAT, np.int32))
-    bounds.append(np.searchsorted(repeats, at))
+    # Pairs lie at their first word, but for the last word of each text.
+    first = np.ones(max(len(words) - 1, 0), bool)
+    ends = at[1:] - 1
+    first[ends[(ends >= 0) & (ends < len(first))]] = False
+    pairs = np.flatnonzero(first)
+    pair = (mix64(words[pairs] * _PAIR + words[pairs + 1]) >> _SHIFT).astype(np.int32)
+    parts.append(np.where(words[pairs] == words[pairs + 1], _TWICE, pair))
+    bounds.append(np.searchsorted(pairs, at))
     # n-grams of bytes within a word: the byte after each word (or the text's end) stands for its end.
     value = np.where(inside, block.data, 0).astype(np.uint8)
     code = BYTE_VALUE[value]
@@ -90,24 +96,31 @@ class QualityModel:
         return np.round(1 / (1 + np.exp(-np.clip(out, -30, 30))), 6)
 
 
+def encode(column: pa.Array) -> list[pa.Array]:
+    """The distinct buckets of each text, and their shares of its features."""
+    buckets_of, shares = [], []
+    for block in blocks(column):
+        buckets, bounds = features(block)
+        for i in range(bounds.shape[1] - 1):
+            own = np.concatenate([buckets[b[i] : b[i + 1]] for b in bounds])
+            unique, count = np.unique(own, return_counts=True)
+            buckets_of.append(unique)
+            shares.append((count / max(len(own), 1)).astype(np.float32))
+    return [pa.array(buckets_of, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))]
+
+
 def fit(
-    examples: list[tuple[str, int]],
+    rows: list[tuple[np.ndarray, np.ndarray]],
+    labels: np.ndarray,
     dimensions: int = DIMENSIONS,
     rate: float = 0.5,
     min_steps: int = MIN_STEPS,
     seed: int = 7,
 ) -> QualityModel:
     """Stochastic gradient descent, one text a step, with a rate that falls linearly to 0; the classes weigh the same."""
-    if not examples:
+    if not rows:
         return QualityModel(np.zeros(1 << BITS, np.float32), 0.0)
-    y = np.array([label for _, label in examples])
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for block in blocks(pa.array([t for t, _ in examples], pa.large_string())):
-        buckets, bounds = features(block)
-        for i in range(bounds.shape[1] - 1):
-            own = np.concatenate([buckets[b[i] : b[i + 1]] for b in bounds])
-            unique, count = np.unique(own, return_counts=True)
-            rows.append((unique, (count / max(len(own), 1)).astype(np.float32)))
+    y = np.asarray(labels, int)
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dimensions, 1 / dimensions, (1 << BITS, dimensions)).astype(np.float32)
     output = rng.uniform(-1, 1, (dimensions, 2)).astype(np.float32)
@@ -138,8 +151,12 @@ def fit(
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
     """Fit on a bounded sample of labels.quality, of rows whose crc32(doc_id) mod 4 is not 2."""
-    keyed = labels.where(~held_out_flag(F.col("doc_id"), 4, 2)).select("doc_id", F.col("quality").alias("label"))
-    return fit(bounded_sample(keyed, docs, per_class, [0, 1]))
+    keyed = labels.where(~held_out_flag(F.col("doc_id"), 4, 2) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("label"))
+    found, rows = encoded(bounded_sample(keyed, docs, per_class), encode, ["int", "float"])
+    model = fit(rows, np.array(found))
+    del rows
+    release()
+    return model
 
 
 def score_quality(df: DataFrame, model: QualityModel, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:

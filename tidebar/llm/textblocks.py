@@ -99,3 +99,9 @@ def per_text_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if len(some):
         out[some] = np.add.reduceat(values[: bounds[-1]], bounds[some], dtype=np.float64)
     return out
+
+
+def list_views(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column, without a copy."""
+    flat, cuts = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

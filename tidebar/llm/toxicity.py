@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.labelled import bounded_sample, held_out_flag
+from tidebar.llm.labelled import bounded_sample, encoded, held_out_flag, release
 from tidebar.llm.textblocks import Block, blocks, mix64, span_hashes, word_spans
 from tidebar.session import ship
 
@@ -83,35 +83,44 @@ class ToxicityModel:
         return np.round(1 / (1 + np.exp(-np.clip(out, -30, 30))), 6)
 
 
+def encode(column: pa.Array) -> list[pa.Array]:
+    """The distinct coordinates of each text."""
+    rows: list[np.ndarray] = []
+    for block in blocks(column):
+        owner, key = features(block)
+        order = np.argsort(owner, kind="stable")
+        ends = np.searchsorted(owner[order], np.arange(block.hi - block.lo + 1))
+        rows += [np.unique(key[order[a:b]]).astype(np.int32) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return [pa.array(rows, pa.list_(pa.int32()))]
+
+
 def fit(
-    examples: list[tuple[str, int]],
+    rows: list[np.ndarray],
+    labels: np.ndarray,
     alpha: float = 3.0,
     beta: float = 1.0,
-    l1: float = 10.0,
+    l1: float = 20.0,
     l2: float = 0.01,
+    min_count: int = 2,
     min_updates: int = MIN_UPDATES,
 ) -> ToxicityModel:
-    """FTRL-proximal over the examples in the given order; the bias is not penalised."""
-    none = ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 0.0)
-    if not examples:
-        return none
-    y = np.array([label for _, label in examples], float)
-    rows: list[np.ndarray] = []
-    for block in blocks(pa.array([t for t, _ in examples], pa.large_string())):
-        owner, key = features(block)
-        order = np.argsort(owner, kind="stable")
-        ends = np.searchsorted(owner[order], np.arange(block.hi - block.lo + 1))
-        rows += [np.unique(key[order[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    vocabulary, inverse, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    # The gradient of a feature is at most 1 an example, so one of a single example can never outweigh a second's L1.
-    used = count > 1
-    number = np.cumsum(used) - 1
-    cuts = np.cumsum([0, *map(len, rows)])
-    compact = [number[i[used[i]]] for i in (inverse[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
-    vocabulary = vocabulary[used]
+    """FTRL-proximal over the examples in the given order; the bias is not penalised. A coordinate that fewer than
+    min_count examples have is left out."""
+    if not len(labels):
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 0.0)
+    y = np.asarray(labels, float)
+    flat = np.concatenate(rows)
+    flat.sort()
+    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, int)
+    vocabulary = flat[first[np.diff(np.append(first, len(flat))) >= min_count]]
+    del flat, first
+    compact = []
+    for own in rows:
+        at = np.minimum(np.searchsorted(vocabulary, own), max(len(vocabulary) - 1, 0))
+        compact.append(at[vocabulary[at] == own].astype(np.int32) if len(vocabulary) else np.zeros(0, np.int32))
     z, n = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
     bz = bn = 0.0
-    epochs = max(2, -(-min_updates // len(rows)))
+    epochs = max(2, -(-min_updates // len(compact)))
     # The classes weigh the same, whatever their shares.
     share = max(y.mean(), 1e-9), max(1 - y.mean(), 1e-9)
     for _ in range(epochs):
@@ -126,13 +135,17 @@ def fit(
             bz += g - (np.sqrt(bn + g * g) - np.sqrt(bn)) / alpha * b
             bn += g * g
     w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
-    return ToxicityModel(vocabulary[w != 0], w[w != 0], float(-bz / ((beta + np.sqrt(bn)) / alpha)))
+    return ToxicityModel(vocabulary[w != 0].astype(np.int64), w[w != 0], float(-bz / ((beta + np.sqrt(bn)) / alpha)))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
     """Fit on a bounded sample of labels.toxic, of rows whose crc32(doc_id) mod 3 is not 1."""
-    keyed = labels.where(~held_out_flag(F.col("doc_id"), 3, 1)).select("doc_id", F.col("toxic").alias("label"))
-    return fit(bounded_sample(keyed, docs, per_class, [0, 1]))
+    keyed = labels.where(~held_out_flag(F.col("doc_id"), 3, 1) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("label"))
+    found, rows = encoded(bounded_sample(keyed, docs, per_class), encode, ["int"])
+    model = fit([keys for (keys,) in rows], np.array(found))
+    del rows
+    release()
+    return model
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
