@@ -539,9 +539,9 @@ def _backtest_funding(spark, sf_dir):
 _YEARS = "(count(*) / 365.0)"
 _MORE = {
     "log_return": "ln(product(1 + ret))",
-    "cagr": f"pow(product(1 + ret), 1 / {_YEARS}) - 1",
+    "log_growth": f"ln(pow(product(1 + ret), 1 / {_YEARS}))",
     "sortino": "avg(ret) / stddev_samp(ret) FILTER (ret < 0) * sqrt(365)",
-    "calmar": f"(pow(product(1 + ret), 1 / {_YEARS}) - 1) / abs(min(drawdown))",
+    "log_calmar": f"ln((pow(product(1 + ret), 1 / {_YEARS}) - 1) / abs(min(drawdown)))",
     "years": _YEARS,
     "ann_turnover": "avg(turnover) * 365",
     "gross_sharpe": "avg(gross) / stddev_samp(gross) * sqrt(365)",
@@ -551,7 +551,7 @@ _MORE = {
 
 @_query("performance_more", f"{_MA_BOOK}{_DRAWN} SELECT {', '.join(f'{_r(x)} AS {c}' for c, x in _MORE.items())} FROM dd")
 def _performance_more(spark, sf_dir):
-    return _shown(performance(_ma_book(spark, sf_dir), 365.0).withColumn("log_return", F.log1p("total_return")), *_MORE, keys=())
+    return _shown(performance(_ma_book(spark, sf_dir), 365.0).withColumns({"log_return": F.log1p("total_return"), "log_growth": F.log1p("cagr"), "log_calmar": F.ln("calmar")}), *_MORE, keys=())
 
 
 @_query("rolling_sharpe", f"{_MA_BOOK} SELECT {_TS}, {_r('CASE WHEN count(ret) OVER w >= 90 THEN avg(ret) OVER w / nullif(stddev_samp(ret) OVER w, 0) * sqrt(365) END')} AS rolling_sharpe FROM b WINDOW w AS (ORDER BY ts ROWS BETWEEN 89 PRECEDING AND CURRENT ROW)")
