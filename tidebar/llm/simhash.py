@@ -27,9 +27,10 @@ from tidebar.session import ship, written
 WORDS = 3
 RADIUS = 2
 SEED = 42
-#: Fingerprints a shard has, about, and shards at most; the tree is built from SAMPLED fingerprints a shard.
+#: Fingerprints a shard has, about; the tree is built from SAMPLED fingerprints a shard, and by the driver: beyond
+#: SHARDS of them (300 million distinct fingerprints) shards grow with the data, and what they find stays the same.
 SHARD = 5_000
-SHARDS = 4096
+SHARDS = 65_536
 SAMPLED = 24
 #: At most so many are compared one with another without a further split.
 FEW = 256
