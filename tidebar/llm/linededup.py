@@ -115,7 +115,8 @@ def segment_keys(line: Column, threshold: int = THRESHOLD) -> list[tuple[Column,
 
     def span(length: Column, i: int) -> tuple[Column, Column]:
         """Start and length of segment i of a line: the last ones are a character longer where needed."""
-        base, more = F.floor(length / parts).cast("int"), F.pmod(length, F.lit(parts)).cast("int")
+        more = length % parts
+        base = F.call_function("div", length, F.lit(parts)).cast("int")
         start = base * i + F.greatest(F.lit(0), more - (parts - i))
         return start, base + F.when(F.lit(parts - i) <= more, 1).otherwise(0)
 
@@ -150,13 +151,12 @@ def _identity() -> list[Column]:
     return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), F.col("line")).alias("h2")]
 
 
-def _spread(rows: DataFrame, carried: list[Column], keys: list[tuple[Column, Column, Column, bool]], where: bool = False) -> DataFrame:
-    """A row for each segment key: (carried, key, probes, and start and size where asked for). The keys are columns
-    first, so that what they share is computed once a line; `stack` takes them apart without copying it."""
-    wide = rows.select(*carried, *[x.alias(f"_{n}{i}") for i, k in enumerate(keys) for n, x in zip("kst", k[: 3 if where else 1], strict=False)])
-    cells = [c for i, k in enumerate(keys) for c in (F.col(f"_k{i}"), F.lit(k[3]), *([F.col(f"_s{i}"), F.col(f"_t{i}")] if where else []))]
-    own = [c for c in wide.columns if not c.startswith("_")]
-    return wide.select(*own, F.stack(F.lit(len(keys)), *cells).alias("key", "probes", *(["start", "size"] if where else [])))
+def _spread(rows: DataFrame, carried: list[str], keys: list[tuple[Column, Column, Column, bool]]) -> DataFrame:
+    """A row for each segment key: (carried, key, number, probes). The keys are columns first, so that what they share is
+    computed once a line; `stack` takes them apart without copying it."""
+    wide = rows.select(*carried, *[k[0].alias(f"_k{i}") for i, k in enumerate(keys)])
+    cells = [c for i, k in enumerate(keys) for c in (F.col(f"_k{i}"), F.lit(i), F.lit(k[3]))]
+    return wide.select(*carried, F.stack(F.lit(len(keys)), *cells).alias("key", "number", "probes"))
 
 
 def _shared(keyed: DataFrame, name: str) -> DataFrame:
@@ -173,23 +173,25 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(h1, h2) of the lines that have an earlier, different line within the threshold."""
     coded = lines.select(*_PLACE, "line", F.xxhash64("line").alias("h"), F.encode("line", "UTF-32").alias("utf32"))
     keys = segment_keys(F.col("utf32"), threshold)
-    shared = _shared(_spread(coded, [F.col("h")], keys), "keys")
+    shared = _shared(_spread(coded, ["h"], keys), "keys")
     # Only hashes meet the shared keys; the few lines that are left are then fetched once.
-    held = written(_spread(coded, [F.col("h")], keys, True).join(_few(shared), "key").distinct(), "held")
+    held = written(_spread(coded, ["h"], keys).join(_few(shared), "key").distinct(), "held")
     forget(shared)
     wanted = written(held.groupBy("h").count().select("h"), "wanted")
     texts = written(coded.join(_few(wanted), "h").groupBy("h", "line").agg(F.min(_place()).alias("first")), "texts")
     # A key that many lines share is refined: they equal each other there, so at most `threshold` edits are in what
     # remains of them, which is cut into segments again.
     sizes = held.groupBy("key").agg(F.count("*").alias("n"))
-    sized = written(join_hot(held, sizes, ["key"], F.xxhash64("h", "start", "probes")), "sized")
-    many = sized.where(F.col("n") > REFINED).select("key", "probes", "h", "start", "size")
+    sized = written(join_hot(held, sizes, ["key"], F.xxhash64("h", "number")), "sized")
+    many = sized.where(F.col("n") > REFINED).select("key", "probes", "number", "h")
     met = sized.where(F.col("n") <= REFINED).select("key", "probes", "h")
     finer = None
     if not many.isEmpty():
         rest = many.join(texts.select("h", "line"), "h").withColumn("utf32", F.encode("line", "UTF-32"))
+        place = F.get(F.array(*[F.struct(start.alias("start"), size.alias("size")) for _, start, size, _ in keys]), F.col("number"))
+        rest = rest.select("*", place.alias("at")).select("*", "at.*")
         rest = rest.select("h", F.col("key").alias("above"), F.col("probes").alias("asks"), F.concat(F.expr("substring(utf32, 1, start * 4)"), F.expr("substring(utf32, (start + size) * 4 + 1)")).alias("utf32"))
-        finer = _spread(rest, [F.col("h"), F.col("above"), F.col("asks")], segment_keys(F.col("utf32"), threshold))
+        finer = _spread(rest, ["h", "above", "asks"], segment_keys(F.col("utf32"), threshold))
         finer = finer.select(F.xxhash64("above", "key").alias("key"), (F.col("probes") | F.col("asks")).alias("probes"), "h")
         again = _shared(finer, "keys")
         finer = written(finer.join(_few(again), "key").distinct(), "finer")
