@@ -31,6 +31,9 @@ MIN_CHARS = 40
 TILE = 64
 #: Pieces of a line that are looked for in another before their distance is computed.
 PIECES = 24
+#: Every so manieth piece is looked for first; and so many pieces are cut out of one part of a line.
+SAMPLED = 3
+PART = 6
 #: Lines under one key from which on it is refined by segments of what remains of them.
 REFINED = 256
 #: Keys that are broadcast at most (8 bytes each); beyond it they are joined by shuffling.
@@ -53,12 +56,14 @@ def within_edits(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
     powers = F.array(*[F.lit(1 << i) for i in range(24, -1, -1)])
 
     def prefix(x: Column, y: Column) -> Column:
-        most = F.least(F.length(x), F.length(y))
-        return F.aggregate(
-            F.filter(powers, lambda p: p <= most),
-            F.lit(0),
-            lambda done, p: F.when((done + p <= most) & (F.substring(x, done + 1, p) == F.substring(y, done + 1, p)), done + p).otherwise(done),
-        )
+        def doubled(most: Column) -> Column:
+            return F.aggregate(
+                F.filter(powers, lambda p: p <= most),
+                F.lit(0),
+                lambda done, p: F.when((done + p <= most) & (F.substring(x, done + 1, p) == F.substring(y, done + 1, p)), done + p).otherwise(done),
+            )
+
+        return _let(F.least(F.length(x), F.length(y)), doubled)
 
     def chars(x: Column) -> Column:
         return F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ""))
@@ -67,11 +72,11 @@ def within_edits(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
         p, t, m, n = s["p"], s["t"], s["m"], s["n"]
         limit = F.lit(2 * threshold) + n - m
 
-        def step(state: Column, j: Column) -> Column:
-            letter = F.get(t, j - 1)
+        def step(state: Column, letter: Column) -> Column:
+            j = state["j"]
             match = F.lit(0).cast("long")
             for k in range(2 * threshold + 1):
-                match = match + F.when(F.coalesce(F.get(p, j + (threshold - k - 1)) == letter, F.lit(False)), F.lit(1 << _TOP - k).cast("long")).otherwise(F.lit(0).cast("long"))
+                match = match + F.when(F.get(p, j + (threshold - k - 1)) == letter, F.lit(1 << _TOP - k).cast("long")).otherwise(F.lit(0).cast("long"))
             vp, vn = state["vp"], state["vn"]
 
             def then(d0: Column) -> Column:
@@ -85,21 +90,21 @@ def within_edits(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
                     hn.bitwiseOR(half.bitwiseOR(hp).bitwiseXOR(F.lit(everything).cast("long"))).alias("vp"),
                     half.bitwiseAND(hp).alias("vn"),
                     (state["score"] + F.when(j <= m - threshold, diagonal).otherwise(along)).alias("score"),
+                    (j + 1).alias("j"),
                 )
 
             summed = _let(match, lambda x: x.bitwiseAND(vp).__add__(vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(F.lit(everything).cast("long")))
             return F.when(state["score"] > limit, state).otherwise(_let(summed, then))
 
-        start = F.struct(F.lit(((1 << threshold + 1) - 1) << _TOP - threshold).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.least(m, F.lit(threshold)).alias("score"))
-        steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, start, step, lambda state: state["score"])
+        start = F.struct(F.lit(((1 << threshold + 1) - 1) << _TOP - threshold).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.least(m, F.lit(threshold)).alias("score"), F.lit(1).alias("j"))
+        return F.aggregate(t, start, step, lambda state: state["score"])
 
     def without_prefix(x: Column, y: Column) -> Column:
         return _let(prefix(x, y), lambda done: F.struct(F.substring(x, done + 1, F.length(x)).alias("x"), F.substring(y, done + 1, F.length(y)).alias("y")))
 
     def middle(rest: Column) -> Column:
         """The pair without its common prefix, backwards; without that one's, it has no common suffix."""
-        return without_prefix(F.reverse(rest["x"]), F.reverse(rest["y"]))
+        return _let(F.struct(F.reverse(rest["x"]).alias("x"), F.reverse(rest["y"]).alias("y")), lambda back: without_prefix(back["x"], back["y"]))
 
     def measured(s: Column) -> Column:
         return _let(F.struct(chars(s["x"]).alias("p"), chars(s["y"]).alias("t"), F.length(s["x"]).alias("m"), F.length(s["y"]).alias("n")), distance)
@@ -107,10 +112,14 @@ def within_edits(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= threshold) & (_let(_let(without_prefix(a, b), middle), measured) <= threshold)
 
 
-def segment_keys(line: Column, threshold: int = THRESHOLD) -> list[tuple[Column, Column, Column, bool]]:
-    """(hashed key, start from 0, length, whether it only probes) of each segment key of a line in UTF-32, where a
-    character has a fixed place. A line is indexed under those that do not only probe, and probes with all of them for
-    lines as long or shorter."""
+def segment_keys(line: Column, threshold: int = THRESHOLD, mutual: bool = False) -> list[tuple[Column, Column, Column, bool]]:
+    """(hashed key, start from 0, length, whether it only probes) of each segment key of a line as `_fixed` gives it, where
+    a character has a fixed place. A line is indexed under those that do not only probe, and probes with all of them for
+    lines as long or shorter.
+
+    mutual: of two lines each is indexed and probes. Then, of two equally long ones two edits apart, an insertion comes first
+    in one of them; where neither the first nor the last segments are equal, it lies in the first and the deletion in the
+    last, so that line has the other's middle segment one character later, and need not be asked for one earlier."""
     parts = threshold + 1
 
     def span(length: Column, i: int) -> tuple[Column, Column]:
@@ -120,14 +129,15 @@ def segment_keys(line: Column, threshold: int = THRESHOLD) -> list[tuple[Column,
         start = base * i + F.greatest(F.lit(0), more - (parts - i))
         return start, base + F.when(F.lit(parts - i) <= more, 1).otherwise(0)
 
-    own = F.shiftright(F.length(line), 2)
+    own = F.shiftright(F.length(line), 1)
     index, probe = [], []
     for shorter in range(threshold + 1):
         length = own - shorter
         for i in range(parts):
             start, size = span(length, i)
-            for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + threshold - i) + 1):
-                key = F.xxhash64(length, F.lit(i), F.substring(line, (start + shift) * 4 + 1, size * 4))
+            least = 0 if mutual and not shorter and threshold == 2 else max(-i, shorter - (threshold - i))
+            for shift in range(least, min(i, shorter + threshold - i) + 1):
+                key = F.xxhash64(length, F.lit(i), F.substring(line, (start + shift) * 2 + 1, size * 2))
                 (probe if shorter or shift else index).append((key, start + shift, size, bool(shorter or shift)))
     return index + probe
 
@@ -146,6 +156,14 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("last"), *_PLACE)
 
 
+def _fixed(rows: DataFrame) -> DataFrame:
+    """rows with the column utf16: `line` in two bytes a character. Characters beyond these are all written as one: lines
+    within the threshold stay so, and what else meets under a key for it is told apart by the lines themselves."""
+    rows = rows.withColumn("utf16", F.encode("line", "UTF-16BE"))
+    one = F.encode(F.regexp_replace("line", "[\\x{10000}-\\x{10FFFF}]", "\uFFFD"), "UTF-16BE")
+    return rows.withColumn("utf16", F.when(F.length("utf16") == 2 * F.length("line"), F.col("utf16")).otherwise(one))
+
+
 def _identity() -> list[Column]:
     """128 bits that stand for a line."""
     return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), F.col("line")).alias("h2")]
@@ -171,8 +189,8 @@ def _few(keys: DataFrame) -> DataFrame:
 
 def near_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(h1, h2) of the lines that have an earlier, different line within the threshold."""
-    coded = lines.select(*_PLACE, "line", F.xxhash64("line").alias("h"), F.encode("line", "UTF-32").alias("utf32"))
-    keys = segment_keys(F.col("utf32"), threshold)
+    coded = _fixed(lines.select(*_PLACE, "line", F.xxhash64("line").alias("h")))
+    keys = segment_keys(F.col("utf16"), threshold, mutual=True)
     shared = _shared(_spread(coded, ["h"], keys), "keys")
     # Only hashes meet the shared keys; the few lines that are left are then fetched once.
     held = written(_spread(coded, ["h"], keys).join(_few(shared), "key").distinct(), "held")
@@ -180,18 +198,18 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     wanted = written(held.groupBy("h").count().select("h"), "wanted")
     texts = written(coded.join(_few(wanted), "h").groupBy("h", "line").agg(F.min(_place()).alias("first")), "texts")
     # A key that many lines share is refined: they equal each other there, so at most `threshold` edits are in what
-    # remains of them, which is cut into segments again.
+    # remains of them, which is cut into segments again. Lines that probed the key are not indexed there: not mutual.
     sizes = held.groupBy("key").agg(F.count("*").alias("n"))
     sized = written(join_hot(held, sizes, ["key"], F.xxhash64("h", "number")), "sized")
     many = sized.where(F.col("n") > REFINED).select("key", "probes", "number", "h")
     met = sized.where(F.col("n") <= REFINED).select("key", "probes", "h")
     finer = None
     if not many.isEmpty():
-        rest = many.join(texts.select("h", "line"), "h").withColumn("utf32", F.encode("line", "UTF-32"))
+        rest = _fixed(many.join(texts.select("h", "line"), "h"))
         place = F.get(F.array(*[F.struct(start.alias("start"), size.alias("size")) for _, start, size, _ in keys]), F.col("number"))
         rest = rest.select("*", place.alias("at")).select("*", "at.*")
-        rest = rest.select("h", F.col("key").alias("above"), F.col("probes").alias("asks"), F.concat(F.expr("substring(utf32, 1, start * 4)"), F.expr("substring(utf32, (start + size) * 4 + 1)")).alias("utf32"))
-        finer = _spread(rest, ["h", "above", "asks"], segment_keys(F.col("utf32"), threshold))
+        rest = rest.select("h", F.col("key").alias("above"), F.col("probes").alias("asks"), F.concat(F.expr("substring(utf16, 1, start * 2)"), F.expr("substring(utf16, (start + size) * 2 + 1)")).alias("utf16"))
+        finer = _spread(rest, ["h", "above", "asks"], segment_keys(F.col("utf16"), threshold))
         finer = finer.select(F.xxhash64("above", "key").alias("key"), (F.col("probes") | F.col("asks")).alias("probes"), "h")
         again = _shared(finer, "keys")
         finer = written(finer.join(_few(again), "key").distinct(), "finer")
@@ -208,8 +226,8 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     rights = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda j: F.struct(j.alias("l"), own_right.alias("r"), F.lit(True).alias("second"), F.lit(True).alias("probes")))
     placed = dealt.select("key", "h", F.explode(F.when(F.col("probes"), rights).otherwise(F.concat(among, lefts))).alias("t")).select("key", "h", "t.*")
     whole = placed.join(texts.withColumnRenamed("h", "th"), F.col("h") == F.col("th")).select("key", "l", "r", "probes", "second", "line", "first")
-    tile = F.struct("first", "line", _pieces(F.col("line"), threshold).alias("pieces"))
-    tiles = whole.groupBy("key", "l", "r", "probes").agg(F.collect_list(F.when(~F.col("second"), tile)).alias("a"), F.collect_list(F.when(F.col("second"), tile)).alias("b"))
+    tile = F.struct("first", "line", "some", "pieces")
+    tiles = _with_pieces(whole, threshold).groupBy("key", "l", "r", "probes").agg(F.collect_list(F.when(~F.col("second"), tile)).alias("a"), F.collect_list(F.when(F.col("second"), tile)).alias("b"))
 
     def later(own: Column, others: Column) -> Column:
         return F.filter(own, lambda x: F.exists(others, lambda y: (y["first"] < x["first"]) & (x["line"] != y["line"]) & _alike(x, y, threshold) & within_edits(x["line"], y["line"], threshold)))
@@ -224,16 +242,25 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return found
 
 
-def _pieces(line: Column, threshold: int) -> Column:
-    """PIECES pieces of a line: a line within the threshold has all but `threshold` of them."""
+def _with_pieces(rows: DataFrame, threshold: int) -> DataFrame:
+    """rows with PIECES pieces of `line`: `some`, every SAMPLED-th, and `pieces`, the others. A line within the threshold
+    has all but `threshold` of them. Finding a place in a text takes time by its distance, so pieces are cut out of parts."""
     n = max(PIECES, threshold + 1)
-    size = F.greatest(F.floor(F.length(line) / n).cast("int"), F.lit(1))
-    return F.array(*[F.substring(line, size * i + 1, size) for i in range(n)])
+    size = F.col("_size")
+    sized = rows.withColumn("_size", F.greatest(F.floor(F.length("line") / n).cast("int"), F.lit(1)))
+    parts = sized.select("*", *[F.substring(F.col("line"), size * i + 1, size * PART).alias(f"_part{i}") for i in range(0, n, PART)])
+    piece = [F.substring(F.col(f"_part{i - i % PART}"), size * (i % PART) + 1, size) for i in range(n)]
+    some, others = (F.array(*[p for i, p in enumerate(piece) if (i % SAMPLED == 0) == first]) for first in (True, False))
+    return parts.select(*rows.columns, some.alias("some"), others.alias("pieces"))
 
 
 def _alike(x: Column, y: Column, threshold: int) -> Column:
-    """A cheap test that no pair within the threshold fails."""
-    return F.size(F.filter(y["pieces"], lambda p: ~F.contains(x["line"], p))) <= threshold
+    """A cheap test that no pair within the threshold fails, first on a sample of the pieces of y, then on the others."""
+
+    def missing(pieces: Column) -> Column:
+        return F.size(F.filter(pieces, lambda p: ~F.contains(x["line"], p)))
+
+    return (missing(y["some"]) <= threshold) & (missing(y["pieces"]) <= threshold)
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
