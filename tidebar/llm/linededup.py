@@ -193,14 +193,14 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     keys = segment_keys(F.col("utf16"), threshold, mutual=True)
     shared = _shared(_spread(coded, ["h"], keys), "keys")
     # Only hashes meet the shared keys; the few lines that are left are then fetched once.
-    held = written(_spread(coded, ["h"], keys).join(_few(shared), "key").distinct(), "held")
+    held = written(_spread(coded, ["h"], keys).join(_few(shared), "key").distinct(), "held", few=True)
     forget(shared)
-    wanted = written(held.groupBy("h").count().select("h"), "wanted")
-    texts = written(coded.join(_few(wanted), "h").groupBy("h", "line").agg(F.min(_place()).alias("first")), "texts")
+    wanted = written(held.groupBy("h").count().select("h"), "wanted", few=True)
+    texts = written(coded.join(_few(wanted), "h").groupBy("h", "line").agg(F.min(_place()).alias("first")), "texts", few=True)
     # A key that many lines share is refined: they equal each other there, so at most `threshold` edits are in what
     # remains of them, which is cut into segments again. Lines that probed the key are not indexed there: not mutual.
     sizes = held.groupBy("key").agg(F.count("*").alias("n"))
-    sized = written(join_hot(held, sizes, ["key"], F.xxhash64("h", "number")), "sized")
+    sized = written(join_hot(held, sizes, ["key"], F.xxhash64("h", "number")), "sized", few=True)
     many = sized.where(F.col("n") > REFINED).select("key", "probes", "number", "h")
     met = sized.where(F.col("n") <= REFINED).select("key", "probes", "h")
     finer = None
@@ -212,11 +212,11 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         finer = _spread(rest, ["h", "above", "asks"], segment_keys(F.col("utf16"), threshold))
         finer = finer.select(F.xxhash64("above", "key").alias("key"), (F.col("probes") | F.col("asks")).alias("probes"), "h")
         again = _shared(finer, "keys")
-        finer = written(finer.join(_few(again), "key").distinct(), "finer")
+        finer = written(finer.join(_few(again), "key").distinct(), "finer", few=True)
         met = met.unionByName(finer.select("key", "probes", "h"))
     counted = met.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(~F.col("probes"), 1)).alias("n_index"))
     parts = counted.select("key", "n", F.ceil(F.col("n_index") / TILE).cast("int").alias("lefts"), F.ceil((F.col("n") - F.col("n_index")) / TILE).cast("int").alias("rights"))
-    dealt = join_hot(met, written(parts, "parts"), ["key"], F.xxhash64("h", "probes"))
+    dealt = join_hot(met, written(parts, "parts", few=True), ["key"], F.xxhash64("h", "probes"))
     # Indexed lines are cut into `lefts` tiles, probing ones into `rights`; each tile of the one side meets each of the
     # other, and the tiles of the indexed side each other once, as groups of (key, left tile, right tile).
     own_left = F.pmod(F.xxhash64("h", F.lit(7)), F.col("lefts")).cast("int")
@@ -236,7 +236,7 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     two = F.col("probes") | (F.col("l") != F.col("r"))
     seen = F.when(two, F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("others")), F.struct(F.col("b").alias("own"), F.col("a").alias("others")))).otherwise(F.array(F.struct(F.col("a").alias("own"), F.col("a").alias("others"))))
     sides = tiles.select(F.explode(seen).alias("s"))
-    found = written(sides.select(F.explode(F.transform(later(F.col("s.own"), F.col("s.others")), lambda x: x["line"])).alias("line")).select(*_identity()).distinct(), "near")
+    found = written(sides.select(F.explode(F.transform(later(F.col("s.own"), F.col("s.others")), lambda x: x["line"])).alias("line")).select(*_identity()).distinct(), "near", few=True)
     for table in (held, wanted, texts, sized, *([finer] if finer else [])):
         forget(table)
     return found

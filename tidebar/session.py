@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
+#: Shuffle partitions that go into one file of a table with few files.
+PER_FILE = 8
 #: Settings that results depend on, or that are right at any size. The number of shuffle partitions is left to the caller.
 PINNED = {
     "spark.sql.session.timeZone": "UTC",
@@ -62,11 +64,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and safe when an executor is lost."""
-    path = f"{shared_dir(df.sparkSession)}/tidebar/{name}-{uuid.uuid4().hex}"
+def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and safe when an executor is lost.
+
+    few: df comes out of a shuffle and is small and cheap from there on, so PER_FILE partitions of it may go into one file.
+    Without native libraries Hadoop starts three processes (chmod) for each file in a local folder."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tidebar/{name}-{uuid.uuid4().hex}"
+    if few:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // PER_FILE))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
