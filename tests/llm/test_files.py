@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar import session
-from tidebar.llm import links
+from tidebar.llm import links, simhash
 from tidebar.llm.linededup import dedup_lines
 
 COALESCE, PARTITIONS = "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"
@@ -26,6 +26,19 @@ def made(spark, tmp_path, monkeypatch):
         spark.conf.set(k, v)
 
 
+def test_tables_of_fingerprints_and_links_have_few_files(spark, made, monkeypatch):
+    """op9: a round for each step of the components, and a file for each partition of each, were over 200 files here."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(12)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:100])], "doc_id long, text string").repartition(4)
+    rounds = []
+    monkeypatch.setattr(links, "written", lambda df, name, few=False: rounds.append(name) or session.written(df, name, few))
+    found = {r.doc_id: (r.bits, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert all(found[300 + i] == found[i] for i in range(100))
+    assert rounds == ["links", "components"]
+    assert made() == {"fingerprints": 4, "distinct": 8, "components": 1}
+
+
 def test_tables_of_line_dedup_have_few_files(spark, made, monkeypatch):
     monkeypatch.setattr("tidebar.llm.linededup.forget", lambda df: None)
     rng = random.Random(6)

@@ -230,7 +230,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, bits, component_id) for each row: component_id is the smallest doc_id that links reach."""
     marked = written(fingerprints(docs, doc_id, text), "fingerprints")
-    distinct = written(marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = written(marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct", few=True)
     parts = components(fingerprint_links(distinct, radius))
     rooted = distinct.join(parts, distinct["bits"] == parts["vertex"], "left").select("bits", "least", F.coalesce("component", "bits").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
