@@ -58,3 +58,23 @@ def test_few_links_at_once_equal_rounds(spark, monkeypatch):
     assert (1701, 1701) in once and (2001, 1701) in once
     v, u = np.array([5, 9, 9]), np.array([3, 8, 3])
     assert [x.tolist() for x in links.rooted(v, u)] == [[3, 5, 8, 9], [3, 3, 3, 3]]
+
+
+def test_keys_and_repeated_lines_have_few_files(spark, made, monkeypatch):
+    """Of the pipeline's line dedup and op10: what these are found in is large, they are not. There were 64 files of each here.
+    They are dealt out once more for it, else few tasks would read the whole of what they are found in."""
+    plans = {}
+
+    def seen(df, name, few=False):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return session.written(df, name, few)
+
+    monkeypatch.setattr("tidebar.llm.linededup.written", seen)
+    monkeypatch.setattr("tidebar.llm.linededup.forget", lambda df: None)
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("abcdefghijkl ") for _ in range(60)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, lines[i % 400] if i < 500 else lines[i % 400][:30] + "_" + lines[i % 400][30:]) for i in range(800)], "doc_id long, text string").repartition(4)
+    assert dedup_lines(docs, short_repeats=True).agg(F.sum("n_removed")).first()[0] == 400
+    for k in ("keys", "repeated"):
+        assert 0 < made()[k] <= 8
+        assert "REPARTITION_BY_COL" in plans[k]

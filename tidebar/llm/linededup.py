@@ -178,9 +178,11 @@ def _spread(rows: DataFrame, carried: list[str], keys: list[tuple[Column, Column
 
 
 def _shared(keyed: DataFrame, name: str) -> DataFrame:
-    """The keys under which a line is indexed and another, different one indexed or probing."""
+    """The keys under which a line is indexed and another, different one indexed or probing. These are few, what they are
+    found in is not, so they are dealt out once more: all tasks look for them, and few files hold them. (Spark leaves out a
+    repartition by the very columns that rows are grouped by.)"""
     met = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("probes").alias("p"))
-    return written(met.where("a <> b and not p").select("key"), name)
+    return written(met.where("a <> b and not p").select("key").repartition(F.xxhash64("key")), name, few=True)
 
 
 def _few(keys: DataFrame) -> DataFrame:
@@ -268,7 +270,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     near = near_lines(_lines(docs, doc_id, text, min_chars), threshold).withColumn("near", F.lit(True))
     places = _lines(docs, doc_id, text, min_chars, short_repeats).select(*_PLACE, *_identity())
     firsts = places.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
-    repeated = written(firsts.join(_few(near), ["h1", "h2"], "left").where("n > 1 or near"), "repeated")
+    repeated = written(firsts.join(_few(near), ["h1", "h2"], "left").where("n > 1 or near").repartition("h2"), "repeated", few=True)
     gone = join_hot(places, repeated, ["h1", "h2"], F.xxhash64(*_PLACE)).where(F.col("near").isNotNull() | (F.col("first") != _place()))
     removed = gone.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_removed"))
     marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_own"), F.xxhash64(text).alias("_hash"))
