@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +33,13 @@ def on_calendar(bars: DataFrame, books: tuple[str, ...] = (), keyed: DataFrame |
 
 
 def as_of_event(events: DataFrame, bars: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """events with bar_ts: the first bar at or after each event, null where none follows. A union and one window."""
+    """events with bar_ts: the first bar at or after each event; null where none follows and where a key or ts is null. A
+    union and one window that runs backwards in time, so each row is visited once: a frame that ends at the last row would
+    be read again for every row."""
     both = events.withColumn("_side", F.lit(0)).unionByName(bars.select(*keys, "ts", F.col("ts").alias("_bar"), F.lit(1).alias("_side")), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("ts", "_side").rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumn("bar_ts", F.first("_bar", ignorenulls=True).over(w)).where("_side = 0").select(*events.columns, "bar_ts")
+    w = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    known = reduce(and_, [F.col(c).isNotNull() for c in (*keys, "ts")])
+    return both.withColumn("bar_ts", F.when(known, F.last("_bar", ignorenulls=True).over(w))).where("_side = 0").select(*events.columns, "bar_ts")
 
 
 def without_overlap(rows: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
